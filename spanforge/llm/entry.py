@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat
+from . import chat, mixing
 
 
 def queries():
-    return {"op7_chat": chat.op7_chat}
+    return {"op1_mix": mixing.op1_mix, "op7_chat": chat.op7_chat}
 
 
 def oracle_sql():
