@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat, mixing
+from . import chat, mixing, packing, records
 
 
 def queries():
-    return {"op1_mix": mixing.op1_mix, "op7_chat": chat.op7_chat}
+    return {
+        "op1_mix": mixing.op1_mix,
+        "op5_records": records.op5_records,
+        "op7_chat": chat.op7_chat,
+        "op9_packing": packing.op9_packing,
+    }
 
 
 def oracle_sql():
