@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, packing, records
+from . import chat, fingerprint, mixing, packing, records, vafile
 
 
 def queries():
     return {
         "op1_mix": mixing.op1_mix,
+        "op2_fingerprint": fingerprint.op2_fingerprint,
         "op5_records": records.op5_records,
         "op7_chat": chat.op7_chat,
         "op9_packing": packing.op9_packing,
+        "op10_vafile": vafile.op10_vafile,
     }
 
 
 def oracle_sql():
-    return {"op7_chat": chat.OP7_SQL}
+    return {"op7_chat": chat.OP7_SQL, "op10_vafile": vafile.OP10_SQL}
