@@ -66,3 +66,21 @@ def range_index(column: Column, bounds: list) -> Column:
 
     found = F.aggregate(F.array(*[F.lit(i) for i in range(steps)]), start, halve, lambda s: s["lo"])
     return F.when(column.isNull(), F.lit(len(bounds))).otherwise(found)
+
+
+FILTER_BITS = 1 << 22
+
+
+def hash_filter(hashes: DataFrame, column: str) -> DataFrame:
+    """A bit table of a column of 64-bit hashes: slot, bits; FILTER_BITS / 64 rows (1 MB) at most, however many hashes there are."""
+    h = F.col(column).bitwiseAND(F.lit(FILTER_BITS - 1).cast("long"))
+    bit = F.expr(f"shiftleft(1L, cast({column} & 63L AS int))")
+    return hashes.select(F.shiftright(h, 6).alias("slot"), bit.alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
+
+
+def may_hold(df: DataFrame, column: str, bits: DataFrame, inverse: bool = False) -> DataFrame:
+    """The rows whose hash may be among those of the filter, or those whose hash is not."""
+    slot = F.shiftright(F.col(column).bitwiseAND(F.lit(FILTER_BITS - 1).cast("long")), 6)
+    b = F.broadcast(bits.select(F.col("slot").alias("_slot"), F.col("bits").alias("_bits")))
+    hit = (slot == F.col("_slot")) & (F.expr(f"shiftrightunsigned(_bits, cast({column} & 63L AS int)) & 1L") == 1)
+    return df.join(b, hit, "left_anti" if inverse else "left_semi")
