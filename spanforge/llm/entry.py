@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, cotraining, fingerprint, linededup, mixing, packing, records, vafile
+from . import chat, cotraining, fingerprint, linededup, mixing, packing, records, secrets, vafile
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_mix": mixing.op1_mix,
         "op2_fingerprint": fingerprint.op2_fingerprint,
         "op3_cotraining": cotraining.op3_cotraining,
+        "op4_secrets": secrets.op4_secrets,
         "op5_records": records.op5_records,
         "op6_linededup": linededup.op6_linededup,
         "op7_chat": chat.op7_chat,
