@@ -1,10 +1,58 @@
-"""The corpus pipeline: five operators in turn over documents."""
+"""The corpus pipeline: documents are classified, deduplicated by line and by n-grams, mixed and packed.
+
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which ``run``
+writes as Parquet and reads again as the next one's ``docs``. All but the last
+return the columns of ``docs``; the last returns the pieces of packed sequences.
+
+SQL can't express the stages (trained models, hashes); tests hold the run against
+the stages' brute-force versions.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spanforge.llm import cotraining, linededup, mixing, ngramjoin, packing
+from spanforge.llm.common import save, table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier doesn't reject."""
+    model = cotraining.fit(cotraining.feature_table(docs), cotraining.quality_labels(spark, sf_dir))
+    scored = cotraining.score_documents(docs, model)
+    return scored.where(F.col("_quality_score") >= cotraining.KEEP_FROM).select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without fuzzy copies of lines; those with no words left go. n_chars follows the text."""
+    found = linededup.dedup_lines(docs, drop_empty=True)
+    n_chars = F.when(F.col("_line_gone") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return found.withColumn("n_chars", n_chars).select(*docs.columns)
+
+
+def ngrams(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked ones."""
+    return ngramjoin.one_of_each(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mix(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("quality", quality), ("lines", lines), ("ngrams", ngrams), ("mix", mix), ("pack", pack)]
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = save(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

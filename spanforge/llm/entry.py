@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, cotraining, fingerprint, linededup, mixing, packing, records, secrets, vafile
+from . import chat, cotraining, fingerprint, linededup, mixing, ngramjoin, packing, records, secrets, vafile
 
 
 def queries():
@@ -14,6 +14,7 @@ def queries():
         "op5_records": records.op5_records,
         "op6_linededup": linededup.op6_linededup,
         "op7_chat": chat.op7_chat,
+        "op8_ngramjoin": ngramjoin.op8_ngramjoin,
         "op9_packing": packing.op9_packing,
         "op10_vafile": vafile.op10_vafile,
     }
