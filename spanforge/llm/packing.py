@@ -48,8 +48,8 @@ def cutter(tokenizer_path: str, end_id: int, window: int, longest_tail: int):
         end = np.array([end_id], dtype=enc.dtype).tobytes()
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.frombuffer(enc.encode(text.as_py()) + end, dtype=enc.dtype).astype("<u4")
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = np.frombuffer(enc.encode(text) + end, dtype=enc.dtype).astype("<u4")
                 n, at = len(ids), 0
                 while at < n:
                     size = window if n - at >= window else min(n - at, longest_tail)

@@ -111,12 +111,12 @@ def writer(folder: str, tokenizer_path: str, end_id: int):
         offset = tokens = documents = 0
         try:
             for batch in batches:
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     if data is None:
                         files.create_dir(path, recursive=True)
                         data = files.open_output_stream(f"{path}/{name}.rec")
                         index = files.open_output_stream(f"{path}/{name}.idx")
-                    ids = enc.encode(text.as_py()) + end
+                    ids = enc.encode(text) + end
                     record = frame(pack(doc_id, ids, enc.width))
                     n = len(ids) // enc.width
                     index.write(index_entry(offset, n, tokens))

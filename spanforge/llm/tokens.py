@@ -16,7 +16,8 @@ import unicodedata
 
 import numpy as np
 
-MOST_WORDS = 300_000
+#: Words that are kept; as many pieces at most. About 200 bytes each.
+MOST_WORDS = 700_000
 
 
 def default_path() -> str:
@@ -36,7 +37,7 @@ class WordEncoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
         self.most = most_words
-        self.words: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.piece = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -56,6 +57,8 @@ class WordEncoder:
         return found
 
     def _word(self, word: str) -> bytes:
+        if not word:
+            return b""
         if self.plain.fullmatch(word) and (word.isascii() or unicodedata.is_normalized("NFC", word)):
             return b"".join(map(self._piece, self.piece.findall(word.lower())))
         return self._pack(self.tokenizer.encode(word, add_special_tokens=False).ids)
@@ -63,19 +66,14 @@ class WordEncoder:
     def encode(self, text: str | None) -> bytes:
         words = (text or "").replace("\n", " ").split(" ")
         known = self.words
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            pass
-        if len(known) > self.most:
-            known.clear()
-        own = {}
-        for word in set(words):
-            found = known.get(word)
-            own[word] = self._word(word) if found is None else found
-        if len(known) + len(own) <= 2 * self.most:
-            known.update(own)
-        return b"".join(map(own.__getitem__, words))
+        missing = set(words).difference(known)
+        if missing:
+            if len(known) > self.most:
+                known.clear()
+                missing = set(words)
+            for word in missing:
+                known[word] = self._word(word)
+        return b"".join(map(known.__getitem__, words))
 
     def ids(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self.encode(text), dtype=self.dtype)
