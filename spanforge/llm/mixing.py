@@ -133,15 +133,15 @@ def copies(docs: DataFrame, planned: DataFrame) -> DataFrame:
         F.col("source").alias("_mix_source"),
         F.col("source_size").alias("_mix_source_size"),
         F.col("target").alias("_mix_target"),
-        "epochs",
-        "last_key",
-        "fill_key",
+        F.col("epochs").alias("_mix_epochs"),
+        F.col("last_key").alias("_mix_last"),
+        F.col("fill_key").alias("_mix_fill"),
     )
     found = docs.join(p, F.col("source").eqNullSafe(F.col("_mix_source"))).drop("_mix_source")
     once_more = (
-        F.coalesce(F.col("_mix_key") <= F.col("last_key"), F.lit(False)) | F.coalesce(F.col("_mix_key") == F.col("fill_key"), F.lit(False))
+        F.coalesce(F.col("_mix_key") <= F.col("_mix_last"), F.lit(False)) | F.coalesce(F.col("_mix_key") == F.col("_mix_fill"), F.lit(False))
     ).cast("int")
-    return found.withColumn("_mix_copies", F.col("epochs") + once_more).drop("epochs", "last_key", "fill_key")
+    return found.withColumn("_mix_copies", F.col("_mix_epochs") + once_more).drop("_mix_epochs", "_mix_last", "_mix_fill")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, budget: float = 1.0, seed: int = SEED) -> DataFrame:
