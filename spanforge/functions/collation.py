@@ -132,7 +132,8 @@ def literal_key(value: object, missing: bool = False) -> Column:
     if isinstance(value, bool):
         return _key(F.lit(TRUE if value else FALSE))
     if isinstance(value, (int, float, Decimal)):
-        exact = F.lit(Decimal(int(value))).cast("decimal(38,0)") if float(value) == int(value) else None
+        whole = abs(value) < 10**38 and value == int(value)
+        exact = F.lit(Decimal(int(value))).cast("decimal(38,0)") if whole else None
         return _key(F.lit(NUMBER), F.lit(float(value)), exact)
     if isinstance(value, str):
         return _key(F.lit(STRING), text=F.lit(value))
