@@ -70,7 +70,7 @@ def format_chats(turns: DataFrame, loss_role: str = "assistant", unit_tokens: di
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     n_files = F.size(F.filter("parts", attached))
     own = own.withColumn("base", F.coalesce(F.sum(n_files).over(before), F.lit(0)))
-    ordinal = lambda i: F.col("base") + F.size(F.filter(F.slice("parts", 1, i), attached))
+    ordinal = lambda i: F.col("base") + F.size(F.filter(F.slice("parts", 1, i + 1), attached))
     visit = lambda p, i: F.when(
         attached(p), F.concat(F.lit("<|"), p["type"], F.lit(" "), ordinal(i).cast("string"), F.lit("|>"))
     ).otherwise(escape(p["text"]))
