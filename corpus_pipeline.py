@@ -10,13 +10,28 @@ the stages' brute-force versions.
 
 from __future__ import annotations
 
+import functools
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.llm import cotraining, linededup, mixing, ngramjoin, packing
-from spanforge.llm.common import save, table
+from spanforge.llm.common import enter_scope, new_folder, table
+
+
+def staged(function):
+    """A stage first removes the tables that earlier stages saved for themselves: their results are written."""
+
+    @functools.wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        enter_scope(spark, f"{function.__name__}-{uuid.uuid4().hex}")
+        return function(spark, docs, sf_dir)
+
+    return run_stage
 
 
+@staged
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier doesn't reject."""
     model = cotraining.fit(cotraining.feature_table(docs), cotraining.quality_labels(spark, sf_dir))
@@ -24,6 +39,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col("_quality_score") >= cotraining.KEEP_FROM).select(*docs.columns)
 
 
+@staged
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without fuzzy copies of lines; those with no words left go. n_chars follows the text."""
     found = linededup.dedup_lines(docs, drop_empty=True)
@@ -31,16 +47,19 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
+@staged
 def ngrams(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones."""
     return ngramjoin.one_of_each(docs)
 
 
+@staged
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
     return mixing.mix(docs)
 
 
+@staged
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences."""
     return packing.pack_documents(docs)
@@ -54,5 +73,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = save(stage(spark, docs, sf_dir), f"stage-{name}")
+        made = stage(spark, docs, sf_dir)
+        path = new_folder(spark, f"stage-{name}")
+        made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
+    enter_scope(spark, None)
     return docs

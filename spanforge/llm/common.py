@@ -23,13 +23,32 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_scopes: dict[str, list[str]] = {}
+_scope: str | None = None
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it again: cuts lineage, so that lost executors cost no recomputation."""
     path = new_folder(df.sparkSession, name)
+    if _scope is not None:
+        _scopes.setdefault(_scope, []).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def enter_scope(spark: SparkSession, name: str | None) -> None:
+    """Removes what was saved in other scopes; what is saved from now on belongs to this one (None: is kept).
+
+    For a run of stages whose results are written before the next one starts.
+    """
+    global _scope
+    _scope = name
+    for old in [s for s in _scopes if s != name]:
+        for path in _scopes.pop(old):
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
