@@ -325,7 +325,11 @@ def brute_lines(spark, docs, similarity=0.8):
     return {d: "\n".join(x for i, x in enumerate(t) if (d, i) not in gone) for d, t in texts.items()}
 
 
-def test_lines_against_brute_force(spark):
+@pytest.mark.parametrize("small", [4, linededup.SMALL])
+def test_lines_against_brute_force(spark, monkeypatch, small):
+    """Buckets above ``small`` take the way of representatives."""
+    monkeypatch.setattr(linededup, "SMALL", small)
+    monkeypatch.setattr(linededup, "REPS", 4)
     rng = np.random.default_rng(4)
     base = [rng.choice(1000, 60) for _ in range(12)]
     docs = []
