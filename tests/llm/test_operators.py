@@ -348,7 +348,8 @@ def test_lines_against_brute_force(spark, monkeypatch, small):
 
 
 def test_simhash_is_the_majority_of_words(spark):
-    df = spark.createDataFrame([(1, LONG[:9000]), (2, "one two three four five five"), (3, "too short")], "doc_id long, text string")
+    repeated = [(4, LONG[900:2200])] * 3
+    df = spark.createDataFrame([(1, LONG[:9000]), (2, "one two three four five five"), (3, "too short"), *repeated], "doc_id long, text string")
     hashes = df.select("doc_id", F.transform(linededup.words(F.col("text")), lambda w: F.xxhash64(w)).alias("h")).collect()
     want = {r["doc_id"]: sum(1 << b for b in range(63) if sum(h >> b & 1 for h in r["h"]) * 2 > len(r["h"])) for r in hashes}
     assert {r["doc_id"]: r["simhash"] for r in linededup.occurrences(df, 5).collect()} == want | {3: None}
