@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.llm import cotraining, linededup, mixing, ngramjoin, packing
-from spanforge.llm.common import enter_scope, new_folder, table
+from spanforge.llm.common import enter_scope, leave_scope, new_folder, table
 
 
 def staged(function):
@@ -26,7 +26,10 @@ def staged(function):
     @functools.wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         enter_scope(spark, f"{function.__name__}-{uuid.uuid4().hex}")
-        return function(spark, docs, sf_dir)
+        try:
+            return function(spark, docs, sf_dir)
+        finally:
+            leave_scope()
 
     return run_stage
 

@@ -49,6 +49,12 @@ def enter_scope(spark: SparkSession, name: str | None) -> None:
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def leave_scope() -> None:
+    """What is saved from now on is kept; the scope's tables stay until another one is entered."""
+    global _scope
+    _scope = None
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
