@@ -204,10 +204,16 @@ class Forest:
             self.root[np.isin(self.root, roots)] = roots[0]
 
 
-def prune_run(keys: np.ndarray, sigs: np.ndarray, side: np.ndarray, least: np.ndarray) -> list[tuple[int, int]]:
+def two_tiles(run: pa.Table) -> bool:
+    """Whether a run is of two tiles. A tile can be empty, so that the sides don't tell."""
+    return run.column("one")[0] != run.column("two")[0]
+
+
+def prune_run(keys: np.ndarray, sigs: np.ndarray, side: np.ndarray, across: bool, least: np.ndarray) -> list[tuple[int, int]]:
     """Edges that connect the believable pairs of a bucket; with two tiles (sides 0 and 1) only those across."""
+    if across and (side.all() or not side.any()):
+        return []
     forest = Forest(len(keys))
-    across = bool(side.any())
     for i in range(len(keys)):
         rest = np.flatnonzero(forest.root != forest.root[i])
         rest = rest[(rest > i) & (side[rest] != side[i])] if across else rest[rest > i]
@@ -249,7 +255,7 @@ def pruner(least: np.ndarray):
         out: list[tuple[int, int]] = []
         for run in runs(batches, 3):
             sigs = np.frombuffer(b"".join(run.column("sig").to_pylist()), "<u2").reshape(run.num_rows, -1)
-            out += prune_run(run.column("k").to_numpy(), sigs, run.column("side").to_numpy(), least)
+            out += prune_run(run.column("k").to_numpy(), sigs, run.column("side").to_numpy(), two_tiles(run), least)
             if len(out) > 10_000:
                 yield edge_batch(out)
                 out = []
@@ -277,11 +283,12 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return found
 
 
-def verify_run(keys: np.ndarray, texts: list[str], side: np.ndarray, threshold: float) -> list[tuple[int, int, int]]:
-    """k, its links, a linked class (the least of its group here)."""
+def verify_run(keys: np.ndarray, texts: list[str], side: np.ndarray, across: bool, threshold: float) -> list[tuple[int, int, int]]:
+    """k, its links, a linked class (the least of its group here); with two tiles (sides 0 and 1) only links across."""
+    if across and (side.all() or not side.any()):
+        return []
     sets = [shingles(t) for t in texts]
     sizes = np.array([len(s) for s in sets], dtype=np.float64)
-    across = bool(side.any())
     left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if across else (np.arange(len(keys)),) * 2
     both = intersections([sets[i] for i in left], [sets[i] for i in right]).astype(np.float64)
     near = both >= threshold * (sizes[left][:, None] + sizes[right][None, :] - both) - 1e-9
@@ -309,7 +316,7 @@ def verifier(threshold: float):
             own = np.array([len(s := shingles(t)) > 0 and set_key(s) == k for k, t in zip(keys, texts, strict=True)])
             _, first = np.unique(np.where(own, keys, -1), return_index=True)
             at = np.array([i for i in first if own[i]], dtype=np.int64)
-            out = verify_run(keys[at], [texts[i] for i in at], side[at], threshold) if len(at) else []
+            out = verify_run(keys[at], [texts[i] for i in at], side[at], two_tiles(run), threshold) if len(at) else []
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], names=["k", "links", "other"])
 
     return verify
