@@ -1,11 +1,12 @@
 """Secret scan with a random forest that removes false positives (DataFrame functions and Spark's own trees only).
 
-Candidates are runs of at least LEAST_LENGTH key characters in the words of a text.
+Candidates are all runs of at least LEAST_LENGTH key characters in the words of a text.
 A random forest, trained on labelled findings, decides which stay. Its features are
 the candidate's length, its character transitions (changes of class, shares of
 classes, letter pairs), how much of it dictionary parts cover (the most frequent
 word starts of the corpus, counted over all documents), the path that the document
-has, and the words next to it.
+has, and what is next to it: in its word up to a separator, and the next words where
+the word has no more on that side.
 
 Labelled findings come as a table word, before, before2, after, path, label; one is
 made here by rule (``labelled_findings``): keys of usual shapes in assignments
@@ -29,6 +30,8 @@ from .common import save, table
 
 LEAST_LENGTH = 16
 CORE = r"([A-Za-z0-9+/_\-]{16,}={0,2})"
+#: What parts the fields of a word without blanks.
+PARTED = r"[^,;&?{}|]*"
 #: Dictionary parts: the most frequent words' starts, of so many letters.
 PARTS, PART_LETTERS = 300, 3
 TREES, DEPTH, SEED = 30, 7, 11
@@ -40,12 +43,28 @@ FEATURES = [
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, path, place (number of the word), word, before, before2, after. ``docs``: doc_id, text, path."""
+    """doc_id, path, place (number of the word), run (of the word's, from 0), word (a run's field), core, lead, trail, before, before2, after. ``docs``: doc_id, text, path."""
     own = docs.where(F.length("text") >= LEAST_LENGTH).select("doc_id", "path", F.split("text", r"\s+").alias("w"))
     hit = lambda x: (F.length(x) >= LEAST_LENGTH) & x.rlike(CORE)
     own = own.select("doc_id", "path", "w", F.explode(F.filter(F.transform("w", lambda x, i: F.when(hit(x), i)), lambda i: i.isNotNull())).alias("place"))
     near = lambda k: F.coalesce(F.get("w", F.col("place") + k), F.lit(""))
-    return own.select("doc_id", "path", "place", near(0).alias("word"), near(-1).alias("before"), near(-2).alias("before2"), near(1).alias("after"))
+    own = own.select("doc_id", "path", "place", near(0).alias("word"), near(-1).alias("before"), near(-2).alias("before2"), near(1).alias("after"))
+    return runs(own)
+
+
+def runs(found: DataFrame) -> DataFrame:
+    """A row for each run of a word: run, core, lead and trail (what is before and after it in its field), word (the field); neighbours are empty if the word has more on that side."""
+    every = found.withColumns({"_cores": F.regexp_extract_all("word", F.lit(CORE), F.lit(1)), "_gaps": F.split("word", CORE)})
+    every = every.select("*", F.posexplode("_cores").alias("run", "core"))
+    chars = lambda x: f"aggregate({x}, 0, (a, y) -> a + length(y))"
+    start = F.expr(f"{chars('slice(_gaps, 1, run + 1)')} + {chars('slice(_cores, 1, run)')}")
+    front, rest = F.col("word").substr(F.lit(1), start), F.col("word").substr(start + F.length("core") + 1, F.length("word"))
+    every = every.withColumns({"_front": front, "_rest": rest})
+    every = every.withColumns({"lead": F.regexp_extract("_front", PARTED + "$", 0), "trail": F.regexp_extract("_rest", "^" + PARTED, 0)})
+    fields = F.expr("substring(_front, 1, length(_front) - length(lead))")
+    first, last = ~fields.rlike(r"[\p{L}\p{N}]"), F.col("_rest") == F.col("trail")
+    blank = {x: F.when(first, F.col(x)).otherwise("") for x in ("before", "before2")} | {"after": F.when(last, F.col("after")).otherwise("")}
+    return every.withColumns(blank).withColumn("word", F.concat("lead", "core", "trail")).drop("_cores", "_gaps", "_front", "_rest")
 
 
 def dictionary(docs: DataFrame, parts: int = PARTS) -> list[str]:
@@ -57,15 +76,14 @@ def dictionary(docs: DataFrame, parts: int = PARTS) -> list[str]:
 
 
 def featured(found: DataFrame, parts: list[str]) -> DataFrame:
-    core = F.regexp_extract("word", CORE, 1)
-    found = found.withColumn("core", core)
+    """``found``: as ``runs`` makes them."""
     c = F.col("core")
     n = F.length(c)
     share = lambda pattern: F.length(F.regexp_replace(c, pattern, "")) / n
     runs = F.length(F.regexp_replace(c, "[a-z]+|[A-Z]+|[0-9]+|[^a-zA-Z0-9]+", "x"))
     lowered = F.lower(c)
     cover = F.lit(0.0) if not parts else 1 - F.length(F.regexp_replace(lowered, "|".join(parts), "")) / n
-    context = F.lower(F.concat_ws(" ", "before2", "before", F.regexp_replace("word", CORE, "")))
+    context = F.lower(F.concat_ws(" ", "before2", "before", "lead", F.regexp_replace("trail", CORE, "")))
     path = F.lower(F.coalesce("path", F.lit("")))
     flag = lambda condition: F.coalesce(condition, F.lit(False)).cast("double")
     return found.withColumns(
@@ -81,8 +99,8 @@ def featured(found: DataFrame, parts: list[str]) -> DataFrame:
             "repeats": (n - F.length(F.regexp_replace(lowered, r"(.)\1+", "$1"))) / n,
             "covered": cover,
             "hinted": flag(context.rlike("token|secret|passw|pwd|api.?key|key|auth|bearer|credential")),
-            "assigned": flag(F.concat_ws(" ", "before", "word").rlike(r"[=:]\s*[\"'`]?[A-Za-z0-9+/_\-]{16,}")),
-            "quoted": flag(F.col("word").rlike("[\"'`][A-Za-z0-9+/_\\-]{16,}")),
+            "assigned": flag(F.concat_ws(" ", "before", "lead").rlike(r"[=:]\s*[\"'`]?$")),
+            "quoted": flag(F.col("lead").rlike("[\"'`]$")),
             "checked": flag(context.rlike("commit|sha|md5|digest|checksum|hash|etag|integrity|revision")),
             "placeholder": flag(F.concat_ws(" ", context, lowered).rlike("example|sample|dummy|placeholder|your|fake|xxxx|changeme")),
             "test_path": flag(path.rlike("test|spec|fixture|mock|lock|doc")),
@@ -140,7 +158,8 @@ def train(labelled: DataFrame, parts: list[str]):
     from pyspark.ml.classification import RandomForestClassifier
 
     forest = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED, subsamplingRate=0.8)
-    return forest.fit(vectors(featured(labelled, parts)).select("features", "label"))
+    # A labelled word's label is its first run's.
+    return forest.fit(vectors(featured(runs(labelled).where("run = 0"), parts)).select("features", "label"))
 
 
 def vectors(found: DataFrame) -> DataFrame:
@@ -150,9 +169,10 @@ def vectors(found: DataFrame) -> DataFrame:
 
 
 def scored(found: DataFrame, model, parts: list[str]) -> DataFrame:
-    """Candidates with score, the forest's probability of a secret."""
+    """Candidates with score, the forest's probability of a secret. Of rows without ``core`` the first run counts."""
     from pyspark.ml.functions import vector_to_array
 
+    found = found if "core" in found.columns else runs(found).where("run = 0")
     return model.transform(vectors(featured(found, parts))).withColumn("score", vector_to_array("probability")[1])
 
 
