@@ -59,6 +59,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_prefix(columns: list[str], prefix: str) -> str:
+    """The prefix, with as many underscores before it as it takes for no column to start with it."""
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix = f"_{prefix}"
+    return prefix
+
+
+def wrapped(df: DataFrame, *kept: str) -> DataFrame:
+    """The columns ``kept``, and all others in a struct ``row``, so that no name of theirs meets an operator's own."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in kept]
+    # A struct needs a field.
+    return df.select(F.struct(*rest or [F.lit(0).alias("none")]).alias("row"), *kept)
+
+
+def unwrapped(df: DataFrame, columns: list[str], kept: list[str], more: dict[str, str]) -> DataFrame:
+    """The ``columns`` of a table that was wrapped with ``kept``, in their order, and ``more``: names of added columns and what they hold."""
+    own = [F.col(c) if c in kept else F.col("row").getField(c).alias(c) for c in columns]
+    return df.select(*own, *(F.col(held).alias(name) for name, held in more.items()))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

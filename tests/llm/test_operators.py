@@ -302,57 +302,49 @@ def word_distance(a, b):
     return before[-1]
 
 
-def brute_lines(spark, docs, similarity=0.8):
-    """The texts that stay, by comparing all classes."""
-    occ = linededup.occurrences(docs, 5).selectExpr("doc_id", "at", "k", "simhash").collect()
+def brute_lines(docs, similarity=0.8):
+    """The texts that stay, by comparing the words of all lines."""
     texts = {r["doc_id"]: (r["text"] or "").split("\n") for r in docs.collect()}
-    first, sims, places = {}, {}, defaultdict(list)
-    for r in sorted(occ, key=lambda r: (r["doc_id"], r["at"])):
-        first.setdefault(r["k"], WORDS.findall(texts[r["doc_id"]][r["at"]].lower()))
-        sims[r["k"]] = r["simhash"]
-        places[r["k"]].append((r["doc_id"], r["at"]))
-    root = {k: k for k in first}
-    for a, b in itertools.combinations(first, 2):
-        if sims[a] is not None and sims[b] is not None and (sims[a] ^ sims[b]).bit_count() <= linededup.DISTANCE:
-            n = max(len(first[a]), len(first[b]))
-            if word_distance(first[a], first[b]) <= (1 - similarity) * n + 1e-9:
-                old, new = root[a], root[b]
-                root = {k: new if v == old else v for k, v in root.items()}
+    places = defaultdict(list)
+    for d, lines in sorted(texts.items()):
+        for i, line in enumerate(lines):
+            if own := tuple(WORDS.findall(line.lower())):
+                places[own].append((d, i))
+    root = {k: k for k in places}
+    for a, b in itertools.combinations(places, 2):
+        n = max(len(a), len(b))
+        if min(len(a), len(b)) >= linededup.least_words(similarity) and abs(len(a) - len(b)) <= (1 - similarity) * n and word_distance(a, b) <= (1 - similarity) * n + 1e-9:
+            old, new = root[a], root[b]
+            root = {k: new if v == old else v for k, v in root.items()}
     gone = set()
     for group in set(root.values()):
-        found = sorted(p for k in first if root[k] == group for p in places[k])
+        found = sorted(p for k in places if root[k] == group for p in places[k])
         gone |= set(found[1:])
     return {d: "\n".join(x for i, x in enumerate(t) if (d, i) not in gone) for d, t in texts.items()}
 
 
-@pytest.mark.parametrize("small", [4, linededup.SMALL])
-def test_lines_against_brute_force(spark, monkeypatch, small):
-    """Buckets above ``small`` take the way of representatives."""
-    monkeypatch.setattr(linededup, "SMALL", small)
-    monkeypatch.setattr(linededup, "REPS", 4)
+def test_lines_against_brute_force(spark):
+    """Groups of near copies, chains (each line near the next only), a passage that many different lines share, repeated lines."""
     rng = np.random.default_rng(4)
     base = [rng.choice(1000, 60) for _ in range(12)]
+    passage = " ".join(f"p{i}" for i in range(20))
+    chain = [f"c{i}" for i in range(20)]
     docs = []
     for i in range(90):
         lines = []
         for _ in range(3):
             own = base[rng.integers(12)].copy()
-            for _ in range(rng.integers(3)):
+            for _ in range(rng.integers(9)):
                 own[rng.integers(60)] = rng.integers(1000)
             lines.append(" ".join(f"W{w}" for w in own))
+        chain[rng.integers(20)] = f"d{i}"
+        around = [f"v{x}" for x in rng.integers(500, size=20)]
+        lines += [" ".join(chain), " ".join([*around[:10], passage, *around[10:]])]
         docs.append((i, "\n".join([*lines, "", "same short line"])))
     df = spark.createDataFrame(docs, "doc_id long, text string")
     found = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(df).collect()}
-    assert found == brute_lines(spark, df)
-    assert sum(t.count("W") > 0 for t in found.values()) < 80
-
-
-def test_simhash_is_the_majority_of_words(spark):
-    repeated = [(4, LONG[900:2200])] * 3
-    df = spark.createDataFrame([(1, LONG[:9000]), (2, "one two three four five five"), (3, "too short"), *repeated], "doc_id long, text string")
-    hashes = df.select("doc_id", F.transform(linededup.words(F.col("text")), lambda w: F.xxhash64(w)).alias("h")).collect()
-    want = {r["doc_id"]: sum(1 << b for b in range(63) if sum(h >> b & 1 for h in r["h"]) * 2 > len(r["h"])) for r in hashes}
-    assert {r["doc_id"]: r["simhash"] for r in linededup.occurrences(df, 5).collect()} == want | {3: None}
+    assert found == brute_lines(df)
+    assert sum(t.count("W") > 0 for t in found.values()) < 80 and sum(passage in t for t in found.values()) == 90
 
 
 def test_lines_odd(odd, none):
