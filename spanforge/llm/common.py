@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spanforge.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spanforge-")
         spark.conf.set("spanforge.shared.dir", found)
     return found.rstrip("/")
@@ -23,36 +28,33 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-_scopes: dict[str, list[str]] = {}
-_scope: str | None = None
+#: Where ``save`` notes what it wrote (in this thread of work), if anyone is to remove it.
+_saved: ContextVar[list[str] | None] = ContextVar("saved", default=None)
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it again: cuts lineage, so that lost executors cost no recomputation."""
     path = new_folder(df.sparkSession, name)
-    if _scope is not None:
-        _scopes.setdefault(_scope, []).append(path)
+    if (noted := _saved.get()) is not None:
+        noted.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def enter_scope(spark: SparkSession, name: str | None) -> None:
-    """Removes what was saved in other scopes; what is saved from now on belongs to this one (None: is kept).
+@contextmanager
+def noting(paths: list[str]) -> Iterator[None]:
+    """Adds the folders of tables saved meanwhile to ``paths``, for whoever removes them when results that need them are written."""
+    token = _saved.set(paths)
+    try:
+        yield
+    finally:
+        _saved.reset(token)
 
-    For a run of stages whose results are written before the next one starts.
-    """
-    global _scope
-    _scope = name
-    for old in [s for s in _scopes if s != name]:
-        for path in _scopes.pop(old):
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
-
-def leave_scope() -> None:
-    """What is saved from now on is kept; the scope's tables stay until another one is entered."""
-    global _scope
-    _scope = None
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
