@@ -16,8 +16,8 @@ import unicodedata
 
 import numpy as np
 
-#: Words that are kept; as many pieces at most. About 200 bytes each.
-MOST_WORDS = 700_000
+#: Words that are kept, as many pieces at most, and the bytes that both hold together: their lengths and OVERHEAD for each.
+MOST_WORDS, MOST_BYTES, OVERHEAD = 700_000, 128 << 20, 200
 
 
 def default_path() -> str:
@@ -39,6 +39,7 @@ class WordEncoder:
         self.most = most_words
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.held = 0
         self.bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.piece = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
         # Latin letters up to U+024F and ASCII signs, but for the apostrophe, '<' (special tokens) and white space.
@@ -50,10 +51,9 @@ class WordEncoder:
     def _piece(self, piece: str) -> bytes:
         found = self.pieces.get(piece)
         if found is None:
-            if len(self.pieces) >= self.most:
-                self.pieces.clear()
             mapped = piece if piece.isascii() else "".join(x for x, _ in self.bytes_of.pre_tokenize_str(piece))
             found = self.pieces[piece] = self._pack([t.id for t in self.tokenizer.model.tokenize(mapped)])
+            self.held += len(piece) + len(found) + OVERHEAD
         return found
 
     def _word(self, word: str) -> bytes:
@@ -68,11 +68,16 @@ class WordEncoder:
         known = self.words
         missing = set(words).difference(known)
         if missing:
-            if len(known) > self.most:
+            if self.held > MOST_BYTES or len(known) > self.most:
                 known.clear()
+                # Pieces serve more words than one, and stay if they are the smaller part.
+                if len(self.pieces) * OVERHEAD > MOST_BYTES // 2:
+                    self.pieces.clear()
+                self.held = len(self.pieces) * OVERHEAD
                 missing = set(words)
             for word in missing:
-                known[word] = self._word(word)
+                found = known[word] = self._word(word)
+                self.held += len(word) + len(found) + OVERHEAD
         return b"".join(map(known.__getitem__, words))
 
     def ids(self, text: str | None) -> np.ndarray:
