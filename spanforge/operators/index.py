@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from ..functions import collation as C
 from ..plans.request import ArrayMode, IndexDefinition, IndexKey
 from .keys import KeyColumn
-from .partitioning import PART, partition_id
+from .partitioning import PART, hashable, partition_id
 
 VARIANT = T.VariantType()
 
@@ -110,7 +110,8 @@ def build(source: DataFrame, definition: IndexDefinition) -> Index:
     columns += [c.alias(n) for n, c in held.items() if n != definition.doc_id]
     columns += [F.expr(e).alias(n) for n, e in definition.include]
     if definition.partition_by:
-        columns.append(partition_id([F.expr(e) for e in definition.partition_by], definition.num_partition).alias(PART))
+        by = [hashable(F.expr(e), source.select(F.expr(e)).schema[0].dataType) for e in definition.partition_by]
+        columns.append(partition_id(by, definition.num_partition).alias(PART))
     columns += [F.expr(k.expr).alias("_array") for k in arrays]
     rows = rows.select(*columns)
     lead = definition.keys[0]
@@ -153,5 +154,10 @@ def store(index: Index, path: str) -> None:
 
 
 def array_delta(old: Column, new: Column) -> tuple[Column, Column]:
-    """Entries to delete and to insert when an array value changes."""
-    return F.array_except(old, new), F.array_except(new, old)
+    """Entries to delete and to insert when an array value changes: of each, as many as there are more of than in the other."""
+
+    def more(a: Column, b: Column) -> Column:
+        count = lambda items, v: F.size(F.filter(items, lambda x: x.eqNullSafe(v)))
+        return F.flatten(F.transform(F.array_distinct(a), lambda v: F.array_repeat(v, F.greatest(F.lit(0), count(a, v) - count(b, v)))))
+
+    return more(old, new), more(new, old)

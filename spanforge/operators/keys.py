@@ -86,6 +86,11 @@ class KeyColumn:
             return C.NUMBER
         return C.FALSE if isinstance(self.kind, T.BooleanType) else C.STRING
 
+    def _own(self, value: object) -> bool:
+        """Whether the value is of the column's rank."""
+        rank = rank_of(value)
+        return rank == self._rank() or (self._rank() == C.FALSE and rank == C.TRUE)
+
     def _compare(self, op: str, value: object) -> Column:
         literal = F.lit(value)
         return {">=": self.column >= literal, ">": self.column > literal, "<=": self.column <= literal, "<": self.column < literal}[op]
@@ -127,7 +132,7 @@ class KeyColumn:
                 parts.append(key >= lit(r.low) if low_in else key > lit(r.low))
             if r.high is not UNBOUNDED:
                 parts.append(key <= lit(r.high) if high_in else key < lit(r.high))
-        elif r.low is not UNBOUNDED and r.high is not UNBOUNDED and compare(r.low, r.high) == 0 and rank_of(r.low) in (self._rank(), C.TRUE):
+        elif r.low is not UNBOUNDED and r.high is not UNBOUNDED and compare(r.low, r.high) == 0 and self._own(r.low):
             parts.append(self.column == F.lit(r.low))
         else:
             low = None if r.low is UNBOUNDED else self._low(r.low, low_in)

@@ -25,7 +25,8 @@ def pruned(index: Index, request: ScanRequest) -> DataFrame:
     ids = set(request.partition_ids) if request.partition_ids is not None else None
     positions = index.partition_positions()
     if positions is not None and PART in rows.columns:
-        reach = eliminate(request.spans, positions, index.definition.num_partition)
+        kinds = [index.keys[p].kind for p in positions]
+        reach = eliminate(rows.sparkSession, request.spans, positions, kinds, index.definition.num_partition)
         if reach is not None:
             ids = reach if ids is None else ids & reach
     if ids is None:
@@ -86,7 +87,8 @@ def scan(index: Index, request: ScanRequest) -> DataFrame:
             found = found.select(*request.group_projection)
         if request.offset or request.limit:
             groups = [g.name for g in request.group.groups]
-            found = found.orderBy(*[F.col(g).asc_nulls_first() for g in groups if g in found.columns])
+            kinds = {f.name: f.dataType for f in found.schema.fields}
+            found = found.orderBy(*[KeyColumn(g, kinds[g]).order() for g in groups if g in kinds])
         return cut(found, request)
     names = projected_names(index, request)
     primary = index.definition.primary
@@ -171,4 +173,5 @@ def lead_key_histogram(index: Index, bins: int) -> DataFrame:
 
 def sample(index: Index, n: int, seed: int = 1) -> DataFrame:
     """n rows by a hash of the document id: the same ones on every run."""
-    return index.rows.orderBy(F.xxhash64(F.lit(seed), F.col(f"`{index.doc_id}`").cast("string"))).limit(n)
+    doc_id = F.col(f"`{index.doc_id}`").cast("string")
+    return index.rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), doc_id).cast("binary")), doc_id).limit(n)

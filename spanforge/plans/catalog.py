@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from enum import StrEnum
 
 from pyspark.sql import DataFrame
@@ -141,7 +141,9 @@ class Catalog:
     def create(self, definition: IndexDefinition, source: DataFrame) -> Entry:
         if definition.name in self.entries:
             raise CatalogError(f"index {definition.name} exists")
-        entry = Entry(definition, source, validate(definition))
+        options = validate(definition)
+        definition = replace(definition, num_partition=int(options["num_partition"]))
+        entry = Entry(definition, source, options)
         self.entries[definition.name] = entry
         if not entry.options.get("defer_build"):
             self.build(definition.name)
@@ -178,8 +180,12 @@ class Catalog:
         return sorted(self.entries)
 
     def drop(self, name: str) -> None:
-        self.by_name(name).state = State.DELETED
-        del self.entries[name]
+        entry = self.entries.pop(self.by_name(name).definition.name)
+        entry.state = State.DELETED
+        if self.folder and entry.index is not None:
+            spark = entry.source.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def alter(self, name: str, **_: object) -> None:
         self.by_name(name)

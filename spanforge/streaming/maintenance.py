@@ -5,7 +5,9 @@ buckets that it touches, as a new version, and appends one commit row: version,
 the bucket's versions and the sequence numbers seen by shard. Readers open the last
 commit, or an earlier one. A batch that was committed is skipped when it comes again,
 and records at or below a shard's sequence number are dropped as duplicates, so
-replays change nothing. Files of a version that was never committed are never read.
+replays change nothing. After a rollback the feed has to be replayed from the older
+sequence numbers: batches come again from the next one or, of a new feed, from 0; a later
+one is refused, as what lies between would be lost. Files of a version that was never committed are never read.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 UPSERT, DELETE, EXPIRE = "upsert", "delete", "expire"
-COMMITS = "version long, batch long, buckets map<int,long>, seqnos map<int,long>"
+COMMITS = "version long, batch long, buckets map<int,long>, seqnos map<int,long>, rolled boolean"
 
 
 class Consistency(StrEnum):
@@ -64,7 +66,8 @@ def apply_changes(state: DataFrame, changes: DataFrame, keep: Column | None = No
     put = F.col("op") == UPSERT
     if keep is not None:
         put = put | F.coalesce(keep, F.lit(False))
-    return state.join(final, "doc_id", "left_anti").unionByName(final.where(put).select("doc_id", "doc"))
+    changed = final.select(F.col("doc_id").alias("_changed"))
+    return state.join(changed, F.col("doc_id").eqNullSafe(F.col("_changed")), "left_anti").unionByName(final.where(put).select("doc_id", "doc"))
 
 
 class Store:
@@ -91,8 +94,8 @@ class Store:
         head = self.head()
         return dict(head["seqnos"] or {}) if head else {}
 
-    def _commit(self, version: int, batch: int, buckets: Mapping[int, int], seqnos: Mapping[int, int]) -> None:
-        row = self.spark.createDataFrame([(version, batch, dict(buckets), dict(seqnos))], COMMITS)
+    def _commit(self, version: int, batch: int, buckets: Mapping[int, int], seqnos: Mapping[int, int], rolled: bool = False) -> None:
+        row = self.spark.createDataFrame([(version, batch, dict(buckets), dict(seqnos), rolled)], COMMITS)
         row.coalesce(1).write.mode("append").parquet(f"{self.root}/commits")
 
     def _bucket(self) -> Column:
@@ -114,8 +117,15 @@ class Store:
         ``ordered`` False is for a backfill whose records come out of order: sequence numbers don't filter.
         """
         head = self.head()
-        if head is not None and ordered and batch >= 0 and batch <= head["batch"]:
-            return None
+        last = head["batch"] if head else -1
+        if head is not None and ordered and batch >= 0:
+            if head["rolled"]:
+                if batch > max(0, last + 1):
+                    raise NotConsistent(f"batch {batch} after a rollback to batch {last}: replay what lies between")
+                # A new feed may count anew; its old records are told by their sequence numbers.
+                last = -1
+            elif batch <= last:
+                return None
         seen = dict(head["seqnos"] or {}) if head else {}
         fresh = (new_records(changes, seen) if ordered else changes).withColumn("bucket", self._bucket()).persist()
         try:
@@ -137,17 +147,17 @@ class Store:
             for b in touched:
                 buckets.pop(b, None)
             buckets |= dict.fromkeys(left, version)
-            self._commit(version, max(batch, head["batch"] if head else -1), buckets, union(seen, marks))
+            self._commit(version, max(batch, last), buckets, union(seen, marks))
             return version
         finally:
             fresh.unpersist()
 
     def rollback(self, version: int) -> int:
-        """Makes an earlier version the last one."""
+        """Makes an earlier version the last one. The feed has to go on from its sequence numbers (``seqnos``)."""
         old, head = self.head(version), self.head()
         if old is None:
             raise ValueError(f"no version {version}")
-        self._commit(head["version"] + 1, head["batch"], old["buckets"] or {}, old["seqnos"] or {})
+        self._commit(head["version"] + 1, old["batch"], old["buckets"] or {}, old["seqnos"] or {}, rolled=True)
         return head["version"] + 1
 
     def snapshot(self, consistency: Consistency = Consistency.ANY, seqnos: Mapping[int, int] | None = None, query: StreamingQuery | None = None, wait_s: float = 0.0) -> DataFrame:

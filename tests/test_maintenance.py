@@ -37,6 +37,25 @@ def test_store_versions(spark, tmp_path):
     assert content(store.read()) == {"a": "1", "b": "1", "c": "1"}
 
 
+def test_rollback_and_replay_lose_nothing(spark, tmp_path):
+    store = Store(spark, str(tmp_path), buckets=4)
+    feed = [changes(spark, (0, i + 1, "upsert", x, str(i))) for i, x in enumerate("abcd")]
+    for i in range(3):
+        store.commit(feed[i], i)
+    store.rollback(1)
+    assert content(store.read()) == {"a": "0"} and store.seqnos() == {0: 1}
+    with pytest.raises(NotConsistent):
+        store.commit(feed[3], 3)
+    for i in range(1, 4):
+        assert store.commit(feed[i], i)
+    assert content(store.read()) == {"a": "0", "b": "1", "c": "2", "d": "3"}
+    store.rollback(2)
+    # A new feed counts from 0.
+    for i in range(4):
+        store.commit(feed[i], i)
+    assert content(store.read()) == {"a": "0", "b": "1", "c": "2", "d": "3"}
+
+
 def test_stream_and_consistency(spark, tmp_path):
     store = Store(spark, f"{tmp_path}/s", buckets=4)
     changes(spark, (0, 1, "upsert", "a", "1"), (0, 2, "upsert", "b", "1")).coalesce(1).write.parquet(f"{tmp_path}/in")
