@@ -6,17 +6,19 @@ order, and a paragraph can be added to or taken from it without the rest
 (``insert``, ``delete``). The vector has three runs of lanes:
 
 * the count of paragraphs, and the count of chunks, modulo 2**32;
-* EQUAL lanes modulo 2**32, hashed from the SHA-256 of the paragraph: two
-  documents agree in all only if they have equal paragraphs;
-* LEVELS x LANES lanes modulo 2**16 for likeness. A paragraph is cut into chunks
-  of a few words at places that only the text around them decides; the hash of a
-  chunk is added to one lane of level 0, and to one of level 1, 2, ... if its hash
-  ends in that many times THIN zero bits.
+* EQUAL lanes modulo 2**32, the words of the paragraph's SHA-256: two documents
+  agree in all only if they have equal paragraphs;
+* LEVELS x LANES lanes modulo 2**8 for likeness. A paragraph is cut into chunks
+  of a few words, or characters where there are no blanks, at places that only the
+  text around them decides, in any script; the hash of a chunk is added to one lane
+  of level 0, and to one of level 1, 2, ... if its hash ends in that many times THIN
+  zero bits. The thinnest level tells texts of some ten million chunks apart.
 
 Likeness of two fingerprints: the share of lanes of a level in which they agree
 tells how many chunks are in one and not in the other (a lane is hit by a chunk
-with probability 1 / LANES); the lowest level in which enough agree counts, and the
-difference in their numbers is the least. With the numbers of chunks that gives a Jaccard similarity, from 0 to 1.
+with probability 1 / LANES); the lowest level in which enough agree counts (if it is
+not level 0, the next one too), and the difference in their numbers is the least. With
+the numbers of chunks that gives a Jaccard similarity, from 0 to 1.
 
 Cases: a null text is empty; an empty text has one empty paragraph, which counts;
 equal texts have equal fingerprints; rows of equal id are ordered by text, and the
@@ -32,13 +34,19 @@ from pyspark.sql import functions as F
 
 from .common import partitions, range_bounds, range_index, table
 
-EQUAL, LANES, LEVELS, THIN = 8, 64, 3, 3
+EQUAL, LANES, LEVELS, THIN = 8, 128, 9, 2
 #: The least share of agreeing lanes from which a level's estimate is taken.
 ENOUGH = 0.12
-#: Ends of chunks: white space behind one of these.
-CHUNK_END = r"(?<=[dgnrxy.,;:!?|%])\s+"
-SHORT = 120
-WORD, HALF = 0xFFFFFFFF, 0xFFFF
+#: Ends of chunks in UTF-8 bytes, a character each: white space behind one of these letters or signs; behind a
+#: character beyond ASCII whose last three bits are zero; in runs of ASCII without blanks, behind one of a few characters.
+CHUNK_END = "|".join(
+    [
+        r"(?<=[dgnorxyDGNORXY02468.,;:!?|%])\s+",
+        r"(?<=[\x80\x88\x90\x98\xA0\xA8\xB0\xB8])(?![\x80-\xBF])",
+        r"(?<=[dnxGQ7])(?<=[\x21-\x7E]{24})",
+    ]
+)
+WORD, BYTE = 0xFFFFFFFF, 0xFF
 BUCKETS_PER_PARTITION = 8
 
 
@@ -56,8 +64,8 @@ def paragraphs(text: Column) -> Column:
 
 
 def chunked(para: Column) -> Column:
-    """The chunks of a paragraph; a short one's are its words."""
-    return F.when(F.length(para) < SHORT, F.split(para, r"\s+")).otherwise(F.split(para, CHUNK_END))
+    """The chunks of a paragraph, as its bytes read in Latin-1: the expression sees the bits of every character."""
+    return F.split(F.decode(F.encode(para, "UTF-8"), "ISO-8859-1"), CHUNK_END)
 
 
 def fingerprint(text: Column) -> Column:
@@ -78,46 +86,57 @@ def _and(value: Column, mask: int) -> Column:
 
 
 def _equal_lane(digests: Column, lane: int) -> Column:
-    return _hex(_sum(F.transform(digests, lambda d: _and(F.xxhash64(d, F.lit(lane)), WORD)), WORD), 8)
+    """The sum of one 32-bit word of the digests."""
+    return _hex(_sum(F.transform(digests, lambda d: F.conv(F.substring(d, 8 * lane + 1, 8), 16, 10).cast("long")), WORD), 8)
 
 
-def _level_lanes(hashes: Column, level: int) -> Column:
-    kept = F.filter(hashes, lambda h: _and(h, (1 << (level * THIN)) - 1) == 0) if level else hashes
-    # Level, lane and value are taken from different bits of the hash.
-    lane_of = lambda h: _and(F.shiftrightunsigned(h, 16), LANES - 1)
-    value_of = lambda h: _and(F.shiftrightunsigned(h, 40), HALF)
-    lanes = F.array(*[F.lit(i) for i in range(LANES)])
+def _level_lanes(hashes: Column) -> Column:
+    """The sums of a level's lanes. Hashes are dealt in two steps, so that each is looked at 24 times and not LANES."""
+    eight, sixteen = (F.array(*[F.lit(i).cast("long") for i in range(n)]) for n in (8, LANES // 8))
+    zero = F.lit(0).cast("long")
+
+    # Level, lane and value are taken from different bits of the hash. Odd values, so that few copies of a chunk can't add up to zero.
+    def total(own: Column, lane: Column) -> Column:
+        dealt = F.filter(own, lambda h: _and(F.shiftrightunsigned(h, 19), LANES // 8 - 1) == lane)
+        value = lambda h: _and(F.shiftrightunsigned(h, 40), BYTE).bitwiseOR(F.lit(1).cast("long"))
+        return _hex(F.aggregate(dealt, zero, lambda a, h: a + value(h), lambda a: _and(a, BYTE)), 2)
 
     def run(own: Column) -> Column:
-        total = lambda lane: _sum(F.transform(F.filter(own, lambda h: lane_of(h) == lane), value_of), HALF)
-        return F.concat_ws("", F.transform(lanes, lambda lane: _hex(total(lane), 4)))
+        return F.when(F.size(own) == 0, F.lit("0" * (LANES // 4))).otherwise(F.array_join(F.transform(sixteen, lambda lane: total(own, lane)), ""))
+
+    runs = F.transform(eight, lambda part: F.transform(F.array(F.filter(hashes, lambda h: _and(F.shiftrightunsigned(h, 16), 7) == part)), run)[0])
+    return F.array_join(runs, "")
 
-    return F.transform(F.array(kept), run)[0]
+
+def _levels(hashes: Column, level: int = 0) -> Column:
+    """The lanes of this level and of the thinner ones, each of what the one before has left."""
+    own = _level_lanes(hashes)
+    if level == LEVELS - 1:
+        return own
+    kept = F.filter(hashes, lambda h: _and(h, (1 << ((level + 1) * THIN)) - 1) == 0)
+    rest = F.transform(F.array(kept), lambda k: F.when(F.size(k) == 0, F.lit("0" * (2 * LANES * (LEVELS - 1 - level)))).otherwise(_levels(k, level + 1)))[0]
+    return F.concat(own, rest)
 
 
 def _lanes(digests: Column, hashes: Column) -> Column:
     counts = [_hex(F.size(digests), 8), _hex(F.size(hashes), 8)]
     equal = [_equal_lane(digests, i) for i in range(EQUAL)]
-    return F.concat(*counts, *equal, *[_level_lanes(hashes, level) for level in range(LEVELS)])
-
+    return F.concat(*counts, *equal, _levels(hashes))
 
-def _offsets() -> list[tuple[int, int]]:
-    """Where the lanes are, and their digits."""
-    wide = [(8 * i, 8) for i in range(2 + EQUAL)]
-    at = 8 * (2 + EQUAL)
-    return wide + [(at + 4 * i, 4) for i in range(LEVELS * LANES)]
 
-
-def _number(fp: Column, at: int, digits: int) -> Column:
-    return F.conv(F.substring(fp, at + 1, digits), 16, 10).cast("long")
+def _number(fp: Column, at: int | Column, digits: int) -> Column:
+    return F.conv(fp.substr(F.lit(at) + 1, F.lit(digits)), 16, 10).cast("long")
 
 
 def _combined(left: Column, right: Column, sign: int) -> Column:
-    lanes = []
-    for at, digits in _offsets():
-        mask = F.lit((1 << (4 * digits)) - 1).cast("long")
-        lanes.append(_hex((_number(left, at, digits) + sign * _number(right, at, digits)).bitwiseAND(mask), digits))
-    return F.concat(*lanes)
+    def added(pair: Column, at: Column, digits: int, mask: int) -> Column:
+        return _hex(_and(_number(pair["l"], at, digits) + sign * _number(pair["r"], at, digits), mask), digits)
+
+    wide = F.array(*[F.lit(8 * i) for i in range(2 + EQUAL)])
+    narrow = F.sequence(F.lit(8 * (2 + EQUAL)), F.lit(8 * (2 + EQUAL) + 2 * (LEVELS * LANES - 1)), F.lit(2))
+    pair = F.array(F.struct(left.alias("l"), right.alias("r")))
+    lanes = F.transform(pair, lambda p: F.concat(F.transform(wide, lambda at: added(p, at, 8, WORD)), F.transform(narrow, lambda at: added(p, at, 2, BYTE))))
+    return F.array_join(lanes[0], "")
 
 
 def insert(fp: Column, added: Column) -> Column:
@@ -134,20 +153,24 @@ def likeness(left: Column, right: Column) -> Column:
     base = 8 * (2 + EQUAL)
     n = _number(left, 8, 8) + _number(right, 8, 8)
     least = F.abs(_number(left, 8, 8) - _number(right, 8, 8)).cast("double")
-    lanes = F.array(*[F.lit(4 * i) for i in range(LANES)])
+    lanes = F.array(*[F.lit(2 * i) for i in range(LANES)])
 
     def agreeing(level: int) -> Column:
-        run = lambda fp: F.substring(fp, base + 4 * LANES * level + 1, 4 * LANES)
+        run = lambda fp: F.substring(fp, base + 2 * LANES * level + 1, 2 * LANES)
         pair = F.array(F.struct(run(left).alias("l"), run(right).alias("r")))
-        same = lambda p: F.filter(lanes, lambda i: p["l"].substr(i + 1, F.lit(4)) == p["r"].substr(i + 1, F.lit(4)))
+        same = lambda p: F.filter(lanes, lambda i: p["l"].substr(i + 1, F.lit(2)) == p["r"].substr(i + 1, F.lit(2)))
         return F.transform(pair, lambda p: F.size(same(p)) / float(LANES))[0]
 
     rate = F.log(F.lit(1 - 1 / LANES))
-    found = None
-    for level in reversed(range(LEVELS)):
-        share = agreeing(level)
-        differ = F.log(F.greatest(share, F.lit(0.5 / LANES))) / rate * float(1 << (level * THIN))
-        found = differ if found is None else F.when(share >= ENOUGH, differ).otherwise(found)
+
+    def differ(level: int) -> Column:
+        return F.log(F.greatest(agreeing(level), F.lit(0.5 / LANES))) / rate * float(1 << (level * THIN))
+
+    found = differ(LEVELS - 1)
+    for level in reversed(range(LEVELS - 1)):
+        # A thinned level is a sample; the next one is another, if smaller.
+        own = 0.75 * differ(level) + 0.25 * differ(level + 1) if level else differ(0)
+        found = F.when(agreeing(level) >= ENOUGH, own).otherwise(found)
     found = F.greatest(found, least)
     estimate = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (n - found) / F.greatest(n + found, F.lit(1.0))))
     return F.when(left == right, F.lit(1.0)).otherwise(F.least(estimate, F.lit(0.999)))
