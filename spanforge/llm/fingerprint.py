@@ -37,15 +37,10 @@ from .common import partitions, range_bounds, range_index, table
 EQUAL, LANES, LEVELS, THIN = 8, 128, 9, 2
 #: The least share of agreeing lanes from which a level's estimate is taken.
 ENOUGH = 0.12
-#: Ends of chunks in UTF-8 bytes, a character each: white space behind one of these letters or signs; behind a
-#: character beyond ASCII whose last three bits are zero; in runs of ASCII without blanks, behind one of a few characters.
-CHUNK_END = "|".join(
-    [
-        r"(?<=[dgnorxyDGNORXY02468.,;:!?|%])\s+",
-        r"(?<=[\x80\x88\x90\x98\xA0\xA8\xB0\xB8])(?![\x80-\xBF])",
-        r"(?<=[dnxGQ7])(?<=[\x21-\x7E]{24})",
-    ]
-)
+#: Ends of chunks in UTF-8 bytes, a character each: white space behind one of LAST; behind a character beyond ASCII
+#: whose last three bits are zero; in runs of ASCII without blanks, behind one of IN_RUN.
+LAST, BEYOND, IN_RUN = r"dgnorxyDGNORXY02468.,;:!?|%", r"\x80\x88\x90\x98\xA0\xA8\xB0\xB8", "dnxGQ7"
+CHUNK_END = rf"(?<=[{LAST}{BEYOND}{IN_RUN}])(?:(?<=[{LAST}])\s+|(?<=[{BEYOND}])(?![\x80-\xBF])|(?<=[{IN_RUN}])(?<=[\x21-\x7E]{{24}}))"
 WORD, BYTE = 0xFFFFFFFF, 0xFF
 BUCKETS_PER_PARTITION = 8
 
@@ -97,15 +92,17 @@ def _level_lanes(hashes: Column) -> Column:
 
     # Level, lane and value are taken from different bits of the hash. Odd values, so that few copies of a chunk can't add up to zero.
     def total(own: Column, lane: Column) -> Column:
-        dealt = F.filter(own, lambda h: _and(F.shiftrightunsigned(h, 19), LANES // 8 - 1) == lane)
+        mine = lambda h: _and(F.shiftrightunsigned(h, 19), LANES // 8 - 1) == lane
         value = lambda h: _and(F.shiftrightunsigned(h, 40), BYTE).bitwiseOR(F.lit(1).cast("long"))
-        return _hex(F.aggregate(dealt, zero, lambda a, h: a + value(h), lambda a: _and(a, BYTE)), 2)
+        sum_ = F.aggregate(own, zero, lambda a, h: F.when(mine(h), a + value(h)).otherwise(a))
+        # The third digit keeps a leading zero.
+        return F.substring(F.hex(_and(sum_, BYTE) + BYTE + 1), 2, 2)
 
     def run(own: Column) -> Column:
         return F.when(F.size(own) == 0, F.lit("0" * (LANES // 4))).otherwise(F.array_join(F.transform(sixteen, lambda lane: total(own, lane)), ""))
 
     runs = F.transform(eight, lambda part: F.transform(F.array(F.filter(hashes, lambda h: _and(F.shiftrightunsigned(h, 16), 7) == part)), run)[0])
-    return F.array_join(runs, "")
+    return F.lower(F.array_join(runs, ""))
 
 
 def _levels(hashes: Column, level: int = 0) -> Column:
@@ -153,24 +150,34 @@ def likeness(left: Column, right: Column) -> Column:
     base = 8 * (2 + EQUAL)
     n = _number(left, 8, 8) + _number(right, 8, 8)
     least = F.abs(_number(left, 8, 8) - _number(right, 8, 8)).cast("double")
-    lanes = F.array(*[F.lit(2 * i) for i in range(LANES)])
+    lanes = F.array(*[F.lit(i + 1) for i in range(LANES)])
+    starts = F.array(*[F.lit(base + 2 * LANES * level + 1) for level in range(LEVELS)])
 
-    def agreeing(level: int) -> Column:
-        run = lambda fp: F.substring(fp, base + 2 * LANES * level + 1, 2 * LANES)
-        pair = F.array(F.struct(run(left).alias("l"), run(right).alias("r")))
-        same = lambda p: F.filter(lanes, lambda i: p["l"].substr(i + 1, F.lit(2)) == p["r"].substr(i + 1, F.lit(2)))
-        return F.transform(pair, lambda p: F.size(same(p)) / float(LANES))[0]
+    def agreeing(l: Column, r: Column) -> Column:
+        pair = F.array(F.struct(F.unhex(l).alias("l"), F.unhex(r).alias("r")))
+        same = F.transform(pair, lambda p: F.size(F.filter(lanes, lambda i: p["l"].substr(i, F.lit(1)) == p["r"].substr(i, F.lit(1)))))
+        return F.when(l == r, 1.0).otherwise(same[0] / float(LANES))
 
+    # The columns stay outside of functions' bodies, where the name of a column could be taken for an alias beside it.
+    def of_levels(both: Column) -> Column:
+        run = lambda x, at: both[x].substr(at, F.lit(2 * LANES))
+        return F.transform(starts, lambda at: agreeing(run("l", at), run("r", at)))
+
+    shares = F.transform(F.array(F.struct(left.alias("l"), right.alias("r"))), of_levels)
     rate = F.log(F.lit(1 - 1 / LANES))
 
-    def differ(level: int) -> Column:
-        return F.log(F.greatest(agreeing(level), F.lit(0.5 / LANES))) / rate * float(1 << (level * THIN))
+    def differ(shares: Column, level: int) -> Column:
+        return F.log(F.greatest(shares[level], F.lit(0.5 / LANES))) / rate * float(1 << (level * THIN))
+
+    def judged(shares: Column) -> Column:
+        found = differ(shares, LEVELS - 1)
+        for level in reversed(range(LEVELS - 1)):
+            # A thinned level is a sample; the next one is another, if smaller.
+            own = 0.75 * differ(shares, level) + 0.25 * differ(shares, level + 1) if level else differ(shares, 0)
+            found = F.when(shares[level] >= ENOUGH, own).otherwise(found)
+        return found
 
-    found = differ(LEVELS - 1)
-    for level in reversed(range(LEVELS - 1)):
-        # A thinned level is a sample; the next one is another, if smaller.
-        own = 0.75 * differ(level) + 0.25 * differ(level + 1) if level else differ(0)
-        found = F.when(agreeing(level) >= ENOUGH, own).otherwise(found)
+    found = F.transform(shares, judged)[0]
     found = F.greatest(found, least)
     estimate = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (n - found) / F.greatest(n + found, F.lit(1.0))))
     return F.when(left == right, F.lit(1.0)).otherwise(F.least(estimate, F.lit(0.999)))
