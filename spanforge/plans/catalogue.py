@@ -652,7 +652,7 @@ def vec8(spark, sf_dir):
     return index.search(first_vector(rows), 10, nprobes=8).select("vec_id", F.round("distance", 5).alias("distance"))
 
 
-@query("vec16_rerank")
+@query("vec16_rerank", DOTS + "SELECT vec_id, round(xx + yy - 2 * xy, 5) AS distance FROM d ORDER BY xx + yy - 2 * xy, vec_id LIMIT 10")
 def vec16(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
     index = vector.train_inverted(rows, "vec_id", "embedding", vector.Metric.L2, 8)
@@ -697,10 +697,11 @@ def change_batch(spark, sf_dir) -> DataFrame:
     )
 
 
-@query(
-    "str10_apply_changes",
-    """SELECT user_id::VARCHAR AS doc_id, props AS doc FROM events WHERE event_id IN (SELECT max(event_id) FROM events GROUP BY user_id) AND event_type <> 'error'""",
-)
+#: The last record of each user, unless it is a deletion.
+LAST_EVENTS = """SELECT user_id::VARCHAR AS doc_id, props AS doc FROM events WHERE event_id IN (SELECT max(event_id) FROM events GROUP BY user_id) AND event_type <> 'error'"""
+
+
+@query("str10_apply_changes", LAST_EVENTS)
 def str10(spark, sf_dir):
     changes = change_batch(spark, sf_dir)
     half = F.col("seqno") % 2 == 0
@@ -715,7 +716,7 @@ def str3(spark, sf_dir):
     return fresh.groupBy(F.col("shard").cast("long").alias("shard")).agg(F.count("*").alias("n"))
 
 
-@query("str12_versions")
+@query("str12_versions", LAST_EVENTS)
 def str12(spark, sf_dir):
     import tempfile
 
