@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.request import OrderKey, Range, ScanRequest, Span
-from . import aggregate
+from . import aggregate, vector
 from .index import Index
 from .keys import KeyColumn
 from .partitioning import PART, eliminate
@@ -38,11 +38,26 @@ def pruned(index: Index, request: ScanRequest) -> DataFrame:
 
 def filtered(index: Index, request: ScanRequest) -> DataFrame:
     rows = apply_spans(pruned(index, request), index.keys, request.spans)
+    if request.include_spans:
+        kinds = {f.name: f.dataType for f in rows.schema.fields}
+        rows = apply_spans(rows, [KeyColumn(name, kinds[name]) for name in index.includes], request.include_spans)
     if request.inline_filter is not None:
         rows = rows.where(F.coalesce(F.expr(request.inline_filter), F.lit(False)))
     return rows
 
 
+def measured(index: Index, request: ScanRequest, rows: DataFrame) -> DataFrame:
+    """Rows with the distance in the vector key's place; those whose vector has no distance are left out."""
+    asked = request.vector
+    if not 0 <= asked.position < len(index.keys):
+        raise RequestError(f"no key at position {asked.position}")
+    metric = vector.metric_of(asked.similarity)
+    query = vector.check_query(asked.query, metric)
+    name = index.keys[asked.position].name
+    rows = rows.withColumn(name, vector.distance(vector.valid_dense(F.col(f"`{name}`"), len(query), metric), query, metric))
+    return rows.where(F.col(f"`{name}`").isNotNull())
+
+
 def projected_names(index: Index, request: ScanRequest) -> list[str]:
     """Key and include columns, in index order whatever the request's order is."""
     every = [k.name for k in index.keys] + list(index.includes)
@@ -54,10 +69,14 @@ def projected_names(index: Index, request: ScanRequest) -> list[str]:
 
 
 def order_columns(index: Index, request: ScanRequest) -> list[Column]:
-    if request.order is None:
+    if request.order is None and request.vector is not None:
+        found = [_ordered(index, OrderKey(position=request.vector.position), request.reverse)]
+    elif request.order is None:
         found = [k.order(request.reverse) for k in index.keys]
     else:
-        found = [_ordered(index, o, request.reverse) for o in request.order]
+        if request.vector is None and any(o.distance for o in request.order):
+            raise RequestError("an order by distance without a vector")
+        found = [_ordered(index, OrderKey(request.vector.position, o.descending) if o.distance else o, request.reverse) for o in request.order]
     tie = F.col(f"`{index.doc_id}`")
     return [*found, tie.desc() if request.reverse else tie.asc()]
 
@@ -90,6 +109,8 @@ def scan(index: Index, request: ScanRequest) -> DataFrame:
             kinds = {f.name: f.dataType for f in found.schema.fields}
             found = found.orderBy(*[KeyColumn(g, kinds[g]).order() for g in groups if g in kinds])
         return cut(found, request)
+    if request.vector is not None:
+        rows = measured(index, request, rows)
     names = projected_names(index, request)
     primary = index.definition.primary
     if request.distinct and not primary:
@@ -104,7 +125,7 @@ def scan(index: Index, request: ScanRequest) -> DataFrame:
     shown = [f"`{n}`" for n in names if n != index.doc_id]
     if request.project_doc_id or primary:
         shown.append(f"`{index.doc_id}`")
-    if request.order is not None or request.sorted or request.reverse or request.offset or request.limit:
+    if request.order is not None or request.vector is not None or request.sorted or request.reverse or request.offset or request.limit:
         # Columns that only the order needs are dropped after it.
         rows = rows.orderBy(*order_columns(index, request))
     return cut(rows, request).select(*shown)

@@ -27,6 +27,7 @@ from .request import (
     Range,
     ScanRequest,
     Span,
+    VectorQuery,
     equal,
 )
 
@@ -660,6 +661,29 @@ def vec16(spark, sf_dir):
     return vector.quantised_search(index, sq8, first_vector(rows), 10, nprobes=8).select("vec_id", F.round("distance", 5).alias("distance"))
 
 
+def embedding_index(spark, sf_dir) -> Index:
+    keys = (IndexKey("label", "label"), IndexKey("embedding", "embedding", vector=True))
+    return ix.build(table(spark, sf_dir, "embeddings"), IndexDefinition("scored", keys, doc_id="vec_id", include=(("bucket", "vec_id % 7"),)))
+
+
+def asked(spark, sf_dir) -> VectorQuery:
+    return VectorQuery(1, tuple(first_vector(table(spark, sf_dir, "embeddings"))))
+
+
+@query("vec19_distance_order", DOTS + "SELECT label, round(xx + yy - 2 * xy, 5) AS embedding, vec_id FROM d ORDER BY label, xx + yy - 2 * xy DESC, vec_id LIMIT 30 OFFSET 5")
+def vec19(spark, sf_dir):
+    order = (OrderKey(0), OrderKey(distance=True, descending=True))
+    found = scan.scan(embedding_index(spark, sf_dir), ScanRequest(vector=asked(spark, sf_dir), order=order, offset=5, limit=30, projection=(0, 1)))
+    return found.withColumn("embedding", F.round("embedding", 5))
+
+
+@query("flt13_include_ranges", DOTS + "SELECT round(xx + yy - 2 * xy, 5) AS embedding, vec_id FROM d WHERE vec_id % 7 BETWEEN 2 AND 3 OR vec_id % 7 = 6 ORDER BY xx + yy - 2 * xy, vec_id LIMIT 12")
+def flt13(spark, sf_dir):
+    spans = (Span((Range(2, 3),)), Span.seek(6))
+    found = scan.scan(embedding_index(spark, sf_dir), ScanRequest(vector=asked(spark, sf_dir), include_spans=spans, limit=12, projection=(1,)))
+    return found.withColumn("embedding", F.round("embedding", 5))
+
+
 @query("vec9_product_quantizer")
 def vec9(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")

@@ -90,6 +90,15 @@ class OrderKey:
     name: str | None = None
 
 
+@dataclass(frozen=True)
+class VectorQuery:
+    """The distance of the vector key at a position from ``query``; it takes the key's place in results and orders."""
+
+    position: int
+    query: tuple[float, ...]
+    similarity: str = "L2"
+
+
 @dataclass(frozen=True)
 class ScanRequest:
     """One scan: spans (any may hold), projection, distinct, order, offset and limit, groups and aggregates.
@@ -111,6 +120,10 @@ class ScanRequest:
     #: Names of group keys and aggregates in the order in which they are returned.
     group_projection: tuple[str, ...] | None = None
     inline_filter: str | None = None
+    #: Ranges by position of include columns, any of which may hold, before order and limit.
+    include_spans: tuple[Span, ...] = ()
+    #: Without an order, the nearest rows come first, ties by document id.
+    vector: VectorQuery | None = None
     partition_ids: tuple[int, ...] | None = None
 
 
