@@ -4,7 +4,8 @@
 white space, and encodes each piece on its own; special tokens in a text are found
 first. So a text's ids are those of its words in order, and the words of a task
 repeat: their ids are kept in a dictionary of bounded size. A word that isn't
-there is cut into its pieces, and each piece is encoded by the library's model;
+there is cut into its pieces, which are kept as words, and each new piece is encoded by the
+library's model;
 words out of the plain range (other scripts, apostrophes, special tokens, white
 space other than blank and newline) go through the whole tokenizer.
 """
@@ -12,14 +13,25 @@ space other than blank and newline) go through the whole tokenizer.
 from __future__ import annotations
 
 import functools
+import struct
 import unicodedata
 
 import numpy as np
 
-#: Words that are kept, as many pieces at most, and the bytes that both hold together: their lengths and OVERHEAD for each.
+#: Words and pieces that are kept, at most, and the bytes that they hold together: their lengths and OVERHEAD for each.
 MOST_WORDS, MOST_BYTES, OVERHEAD = 700_000, 128 << 20, 200
 
 
+class _Known(dict):
+    """The ids of words; what isn't there is asked for once."""
+
+    def __init__(self, ask) -> None:
+        self.ask = ask
+
+    def __missing__(self, word: str) -> bytes:
+        return self.ask(word)
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -37,48 +49,54 @@ class WordEncoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
         self.most = most_words
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words, self.before = _Known(self._ask), {}
         self.held = 0
-        self.bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # The characters that stand for bytes in the vocabulary.
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        of = {c: "".join(x for x, _ in level.pre_tokenize_str(chr(c))) for c in range(0x80, 0x800)}
+        self.letters = {byte: mapped[at] for c, mapped in of.items() for at, byte in enumerate(chr(c).encode())}
         self.piece = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
         # Latin letters up to U+024F and ASCII signs, but for the apostrophe, '<' (special tokens) and white space.
         self.plain = regex.compile(r"[!-&(-;=-~¡-įı-ɏ]+")
 
     def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=self.dtype).tobytes()
+        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
 
-    def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
+    def _ask(self, word: str) -> bytes:
+        found = self.before.get(word)
         if found is None:
-            mapped = piece if piece.isascii() else "".join(x for x, _ in self.bytes_of.pre_tokenize_str(piece))
-            found = self.pieces[piece] = self._pack([t.id for t in self.tokenizer.model.tokenize(mapped)])
-            self.held += len(piece) + len(found) + OVERHEAD
+            found = self._word(word)
+        self.words[word] = found
+        self.held += len(word) + len(found) + OVERHEAD
         return found
 
+    def _piece(self, piece: str) -> bytes:
+        mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        return self._pack([t.id for t in self.tokenizer.model.tokenize(mapped)])
+
     def _word(self, word: str) -> bytes:
         if not word:
             return b""
-        if self.plain.fullmatch(word) and (word.isascii() or unicodedata.is_normalized("NFC", word)):
-            return b"".join(map(self._piece, self.piece.findall(word.lower())))
-        return self._pack(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        if not word.isascii():
+            plain = self.plain.fullmatch(word) and unicodedata.is_normalized("NFC", word)
+        else:
+            plain = word.isalpha() or self.plain.fullmatch(word)
+        if not plain:
+            return self._pack(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        low = word.lower()
+        # A piece in lower case is a word itself, so that words of other case or with a sign at the end find it.
+        if low.isalpha():
+            return self._piece(low) if low == word else self.words[low]
+        if low[:-1].isalpha():
+            return self.words[low[:-1]] + self.words[low[-1]]
+        pieces = self.piece.findall(low)
+        return self._piece(low) if len(pieces) == 1 else b"".join(map(self.words.__getitem__, pieces))
 
     def encode(self, text: str | None) -> bytes:
-        words = (text or "").replace("\n", " ").split(" ")
-        known = self.words
-        missing = set(words).difference(known)
-        if missing:
-            if self.held > MOST_BYTES or len(known) > self.most:
-                known.clear()
-                # Pieces serve more words than one, and stay if they are the smaller part.
-                if len(self.pieces) * OVERHEAD > MOST_BYTES // 2:
-                    self.pieces.clear()
-                self.held = len(self.pieces) * OVERHEAD
-                missing = set(words)
-            for word in missing:
-                found = known[word] = self._word(word)
-                self.held += len(word) + len(found) + OVERHEAD
-        return b"".join(map(known.__getitem__, words))
+        if self.held > MOST_BYTES // 2 or len(self.words) > self.most // 2:
+            # Those that are asked for again come back, the others go the next time.
+            self.words, self.before, self.held = _Known(self._ask), self.words, 0
+        return b"".join(map(self.words.__getitem__, (text or "").replace("\n", " ").split(" ")))
 
     def ids(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self.encode(text), dtype=self.dtype)
