@@ -51,7 +51,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @staged
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without fuzzy copies of lines; those with no words left go. n_chars follows the text."""
-    found = linededup.dedup_lines(docs, drop_empty=True)
+    found = linededup.dedup_lines(docs, drop_empty=True, tidy=True)
     gone = f"{free_prefix(docs.columns, '_line')}_gone"
     n_chars = F.when(F.col(gone) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return found.withColumn("n_chars", n_chars).select(*docs.columns)
