@@ -24,3 +24,12 @@ def test_cases_signs_and_scripts():
         enc = tokens.WordEncoder(tokens.default_path(), most_words=most)
         for text in texts * 2:
             assert enc.ids(text).tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
+def test_cases_and_signs_at_the_end_take_no_place():
+    whole = Tokenizer.from_file(tokens.default_path())
+    enc = tokens.WordEncoder(tokens.default_path())
+    texts = ["Stone, STONE. stone\nStone. Éole, ÉOLE. éole, x", "a., b,. c ., d , e. . f _, g, _. 1, 2. é., ²,  ª. ", ", . ,", ". ", "Ⱥ, ⱥ. İ, i. ſ, K. can't, I'M. <s>, <S>. Ok, ok."]
+    for text in texts * 2:
+        assert enc.ids(text).tolist() == whole.encode(text, add_special_tokens=False).ids, text
+    assert not {"Stone", "Stone,", "STONE.", "stone,", "Éole,", "ÉOLE."} & set(enc.words)
